@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import tokens
+from tessella.llm import substrings, tokens
 
 QUERIES = {
     "op1_bpe_roundtrip": tokens.op1_bpe_roundtrip,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substrings.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
