@@ -125,7 +125,7 @@ class Transducer:
     these have become many, as after a change of language.
     """
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 350_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000):
         self.v = vocabulary
         self.max_states = max_states
         self.prefixes = {b[:n] for b in vocabulary.ids for n in range(1, len(b))}
@@ -238,7 +238,7 @@ class Remembered(dict):
     which pieces in use come back, and what was older is dropped. Long pieces aren't kept.
     """
 
-    def __init__(self, make: Callable[[str], object], limit: int = 200_000):
+    def __init__(self, make: Callable[[str], object], limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 

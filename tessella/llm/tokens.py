@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import bpe
-from tessella.llm.common import table
+from tessella.llm.common import slices, table
 
 
 def _append(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
@@ -57,7 +57,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [encoder.packed(x) for x in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
             if ends[-1] >= 2**31:
@@ -73,7 +73,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else "".join(bpe.decode_stream(tokens, x)) for x in (row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None for row in batch.column(ids))]
             yield _with(batch, text, pa.array(texts, pa.string()))
 
@@ -183,7 +183,7 @@ def token_counts(df: DataFrame, json_path: str, pattern: str, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(json_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             yield _with(batch, count, pa.array([counter.total(x) for x in batch.column(text).to_pylist()], pa.int64()))
 
     return df.mapInArrow(run, _append(df, count, T.LongType()))
