@@ -125,11 +125,11 @@ class Transducer:
     these have become many, as after a change of language.
     """
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 250_000):
         self.v = vocabulary
         self.max_states = max_states
         self.prefixes = {b[:n] for b in vocabulary.ids for n in range(1, len(b))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by (a << 32) + b
         self.reset()
 
     def reset(self) -> None:
@@ -150,11 +150,12 @@ class Transducer:
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether b, after a (-1: at the start), stays as it is."""
-        known = self.pairs.get((a, b))
+        pair = (a << 32) + b
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > 4 * self.max_states:
+            if len(self.pairs) > self.max_states:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.v.born(b) is not None and (a < 0 or self.v.stays(a, b))
+            known = self.pairs[pair] = self.v.born(b) is not None and (a < 0 or self.v.stays(a, b))
         return known
 
     def _path(self, ends: tuple[int, ...], at: int) -> tuple[int, ...]:
@@ -173,7 +174,7 @@ class Transducer:
             tail = pending[start:]
             if found is None and (token := ids.get(tail)) is not None:
                 before = last_of[start] if start else s.last
-                if pairs.get((before, token)) or self._fits(before, token):
+                if pairs.get((before << 32) + token) or self._fits(before, token):
                     found = token
             if tail in prefixes:
                 live.append(start)
@@ -238,7 +239,7 @@ class Remembered(dict):
     which pieces in use come back, and what was older is dropped. Long pieces aren't kept.
     """
 
-    def __init__(self, make: Callable[[str], object], limit: int = 150_000):
+    def __init__(self, make: Callable[[str], object], limit: int = 120_000):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 

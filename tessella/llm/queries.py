@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import substrings, tokens
+from tessella.llm import simhash, substrings, tokens, vectors
 
 QUERIES = {
     "op1_bpe_roundtrip": tokens.op1_bpe_roundtrip,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_topk": vectors.op4_topk,
+    "op5_embedding_dedup": vectors.op5_embedding_dedup,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substrings.ORACLE_SQL,
+    "op4_topk": vectors.TOPK_SQL,
 }

@@ -47,6 +47,24 @@ def _tokens(ranks_path: str) -> dict[int, bytes]:
     return {i: b for b, i in bpe.read_ranks(ranks_path).items()}
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(ranks_path, pattern)
+    for batch in slices(batches):
+        packed = [encoder.packed(x) for x in batch.column(text).to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
+        if ends[-1] >= 2**31:
+            raise ValueError("a batch has over 2^31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+        yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks_path: str, ids: str, text: str) -> Iterator[pa.RecordBatch]:
+    tokens = _tokens(ranks_path)
+    for batch in slices(batches):
+        rows = (row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None for row in batch.column(ids))
+        yield _with(batch, text, pa.array([None if x is None else "".join(bpe.decode_stream(tokens, x)) for x in rows], pa.string()))
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of a text column, as array<int>; a column of that name is replaced.
 
@@ -54,30 +72,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     text has no ids. Rows are independent: one narrow stage, no shuffle, whole texts of any length.
     The path must be readable on every executor.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
-        for batch in slices(batches):
-            packed = [encoder.packed(x) for x in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
-            if ends[-1] >= 2**31:
-                raise ValueError("a batch has over 2^31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values))
-
-    return df.mapInArrow(run, _append(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(lambda batches: _encoded(batches, ranks_path, pattern, text, ids), _append(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of an id column. Null ids give null; bytes that aren't UTF-8 become U+FFFD; unknown ids raise."""
+    return df.mapInArrow(lambda batches: _decoded(batches, ranks_path, ids, text), _append(df, text, T.StringType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(ranks_path)
-        for batch in slices(batches):
-            texts = [None if x is None else "".join(bpe.decode_stream(tokens, x)) for x in (row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None for row in batch.column(ids))]
-            yield _with(batch, text, pa.array(texts, pa.string()))
 
-    return df.mapInArrow(run, _append(df, text, T.StringType()))
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode, then decode its ids, in one pass of one worker: adds both columns."""
+    schema = T.StructType([*_append(df, ids, T.ArrayType(T.IntegerType())).fields, T.StructField(decoded, T.StringType())])
+    return df.mapInArrow(lambda batches: _decoded(_encoded(batches, ranks_path, pattern, text, ids), ranks_path, ids, decoded), schema)
 
 
 class CountMap:
@@ -195,7 +201,7 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs, path, P.PATTERN).drop("text"), path)
+    done = round_trip(docs, path, P.PATTERN)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
