@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import simhash, substrings, tokens, vectors
+from tessella.llm import packing, simhash, substrings, tokens, vectors, warc
 
 QUERIES = {
     "op1_bpe_roundtrip": tokens.op1_bpe_roundtrip,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_topk": vectors.op4_topk,
     "op5_embedding_dedup": vectors.op5_embedding_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op9_warc": warc.op9_warc,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substrings.ORACLE_SQL,
     "op4_topk": vectors.TOPK_SQL,
+    "op9_warc": warc.ORACLE_SQL,
 }

@@ -52,7 +52,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_rows: int = 2048, s
     def tile(qs: pa.Table, rs: pa.Table) -> pa.Table:
         if not qs.num_rows or not rs.num_rows:
             return found.empty_table()
-        rs = rs.sort_by("vec_id")
+        rs = rs.take(np.argsort(rs.column("vec_id").to_numpy(), kind="stable"))
         a, b = _matrix(qs.column("v"), np.int64), _matrix(rs.column("v"), np.int64)
         query, ids, shard = qs.column("vec_id").to_numpy(), rs.column("vec_id").to_numpy(), rs.column("shard")[0].as_py()
         exact = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] < 2**53  # then doubles hold each sum
