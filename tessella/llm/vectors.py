@@ -46,15 +46,15 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_rows: int = 2048, s
     blocks, shards = max(1, math.ceil(n_queries / query_rows)), max(1, math.ceil(n_rows / shard_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("block", deal(blocks)).withColumn("shard", every(shards))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), deal(blocks).alias("block"), every(shards).alias("shard"))
     r = rows.withColumn("shard", deal(shards)).withColumn("block", every(blocks))
 
     def tile(qs: pa.Table, rs: pa.Table) -> pa.Table:
         if not qs.num_rows or not rs.num_rows:
             return found.empty_table()
         rs = rs.take(np.argsort(rs.column("vec_id").to_numpy(), kind="stable"))
-        a, b = _matrix(qs.column("v"), np.int64), _matrix(rs.column("v"), np.int64)
-        query, ids, shard = qs.column("vec_id").to_numpy(), rs.column("vec_id").to_numpy(), rs.column("shard")[0].as_py()
+        a, b = _matrix(qs.column("q"), np.int64), _matrix(rs.column("v"), np.int64)
+        query, ids, shard = qs.column("query_id").to_numpy(), rs.column("vec_id").to_numpy(), rs.column("shard")[0].as_py()
         exact = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] < 2**53  # then doubles hold each sum
         if exact:
             a, b = a.astype(np.float64), b.astype(np.float64)
