@@ -214,8 +214,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         late = np.zeros(len(codes), bool)
         leaves, _ = Subtree(codes, ids[owner]).later_leaves()
         late[leaves] = True
-        for row in answers.to_pylist():
-            known, least = unpack(row)
+        if answers.num_rows and len(codes):  # groups hold ranges of codes, so their answers end to end are sorted
+            parts = sorted((unpack(row) for row in answers.to_pylist()), key=lambda p: p[0][0])
+            known, least = (np.concatenate(x) for x in zip(*parts, strict=True))
             place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
             late |= (known[place] == codes) & (least[place] < ids[owner])
         edges = np.zeros(len(h) + 1, np.int32)
