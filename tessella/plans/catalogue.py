@@ -2,5 +2,63 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import text as tx
+from tessella.operators import index, search
+from tessella.plans import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL twin if it has one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _search(spark: SparkSession, sf_dir: str):
+    return search.requests(spark, fx.QUESTIONS), search.Index.over(fx.chunks(spark, sf_dir)), fx.selected(spark, sf_dir)
+
+
+@query(f"{fx.BASE},\n{fx.FTS} SELECT query_id, chunk_id, bm25, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fts")
+def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.fts(*_search(spark, sf_dir)).select("query_id", "chunk_id", "bm25", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{fx.BASE},\n{fx.TERMS},\n{fx.NGRAM} SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM ngram")
+def ngram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ngram(*_search(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"{fx.BASE},\n{fx.VECTOR} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM vector")
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.vector(*_search(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+
+
+_RANKERS = f"{fx.BASE},\n{fx.FTS},\n{fx.TERMS},\n{fx.NGRAM},\n{fx.VECTOR},\n{fx.FUSE}"
+
+
+@query(f"{_RANKERS} SELECT query_id, chunk_id, round(rrf, 9) AS rrf, round(fts_score, 6) AS fts_score, CAST(ngram_score AS DOUBLE) AS ngram_score, vector_score FROM fuse")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = search.fuse(search.rankings(*_search(spark, sf_dir)))
+    return fused.select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), F.round("fts_score", 6).alias("fts_score"), "ngram_score", "vector_score")
+
+
+@query(
+    f"{_RANKERS},\n{fx.hybrid_sql(12)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, document_id, file_name, heading_path, char_start, char_end, round(score, 6) AS score, round(exact_bonus, 6) AS exact_bonus, round(heading_bonus, 6) AS heading_bonus FROM hits"
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: three requests over all selected documents."""
+    hits = search.hybrid_search(*_search(spark, sf_dir), limit=12)
+    return hits.select("query_id", "rank", "chunk_id", "document_id", "file_name", "heading_path", "char_start", "char_end", *(F.round(c, 6).alias(c) for c in ("score", "exact_bonus", "heading_bonus")))
