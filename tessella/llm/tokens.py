@@ -82,7 +82,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encode, then decode its ids, in one pass of one worker: adds both columns."""
-    schema = T.StructType([*_append(df, ids, T.ArrayType(T.IntegerType())).fields, T.StructField(decoded, T.StringType())])
+    fields = [f for f in _append(df, ids, T.ArrayType(T.IntegerType())).fields if f.name != decoded]
+    schema = T.StructType([*fields, T.StructField(decoded, T.StringType())])
     return df.mapInArrow(lambda batches: _decoded(_encoded(batches, ranks_path, pattern, text, ids), ranks_path, ids, decoded), schema)
 
 
