@@ -29,6 +29,22 @@ class Client(Protocol):
     def complete(self, kind: str, prompt: str, max_tokens: int) -> str: ...
 
 
+@dataclass
+class ModelSettings:
+    """What a chat request carries besides its messages."""
+
+    model: str = "offline"
+    temperature: float = 0.0
+    thinking: bool = False
+    effort: str = "high"
+
+    def body(self, messages: list[dict], max_tokens: int, json_mode: bool = False, stream: bool = False) -> dict:
+        """A chat request. An effort is sent only with thinking, a response format only for JSON."""
+        optional = {"reasoning_effort": self.effort if self.thinking else None, "response_format": {"type": "json_object"} if json_mode else None}
+        fixed = {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": max_tokens, "stream": stream, "thinking": {"type": "enabled" if self.thinking else "disabled"}}
+        return fixed | {k: v for k, v in optional.items() if v is not None}
+
+
 @dataclass
 class OfflineClient:
     """A deterministic stand-in for tests and machines without a network. It is no language model.

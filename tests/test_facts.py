@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import chats, evaluate, facts
+from tessella.operators.model import ModelSettings
+from tessella.operators.tasks import Tasks
 
 FIELDS = "seq long, chunk_id long, scope string, subject string, object string, condition string, effect string, exception string, polarity string, statement string, quote string, confidence string"
 
@@ -101,3 +103,18 @@ def test_deltas_and_streams(spark):
         assert one(spark, t, chats.deltas("x")) == model(t)
     part = lambda s: "data: " + json.dumps({"choices": [{"delta": {"content": s}}]})
     assert one(spark, "\n\n".join([part("a b"), ": ping", part("c"), "data: [DONE]", part("late")]), chats.sse_text("x")) == "a bc"
+
+
+def test_request_bodies():
+    plain, thinking = ModelSettings().body([], 100), ModelSettings(thinking=True, effort="max").body([], 100, json_mode=True, stream=True)
+    assert plain["thinking"]["type"] == "disabled" and "reasoning_effort" not in plain and "response_format" not in plain
+    assert thinking["reasoning_effort"] == "max" and thinking["response_format"] == {"type": "json_object"} and thinking["stream"]
+
+
+def test_a_new_task_takes_the_place_of_the_old(spark):
+    tasks = Tasks(spark)
+    assert not tasks.cancel()
+    with tasks.run("one"):
+        assert spark.range(3).count() == 3 and tasks.current
+        assert tasks.cancel() and tasks.cancelled()
+    assert not tasks.current
