@@ -27,7 +27,7 @@ class WordIds:
     leaves fewer different words; others are only cut at white space.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,6 +79,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0,
                 whole = ids.packed(x) + end.to_bytes(4, "little")
                 n = len(whole) // 4
                 out += [(doc, k, a, min(n - a, capacity), zlib.crc32(whole[4 * a : 4 * (a + capacity)])) for k, a in enumerate(range(0, n, capacity))]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = df.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text))

@@ -18,6 +18,7 @@ first words are the same).
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +40,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
-
-
 def _sum(h: np.ndarray, words: int) -> np.ndarray:
     """A hash of each run of so many words, of all places at once."""
     n = len(h) - words + 1
@@ -77,27 +65,43 @@ def suffix_codes(hashes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np
     return codes[at], at, owner[at]
 
 
+def _narrow(at: np.ndarray, known: int) -> bytes:
+    """Places in a table of so many ids: 12 bits each if they fit, else 16 or 32."""
+    if known > 4096:
+        return at.astype(np.uint16 if known <= 65536 else np.uint32).tobytes()
+    a, b = np.append(at, np.zeros(len(at) % 2, at.dtype)).astype(np.uint16).reshape(-1, 2).T
+    return np.stack([a & 255, a >> 8 | (b & 15) << 4, b >> 4], axis=1).astype(np.uint8).tobytes()
+
+
+def _widen(data: bytes, known: int, n: int) -> np.ndarray:
+    if known > 4096:
+        return np.frombuffer(data, np.uint16 if known <= 65536 else np.uint32)
+    x, y, z = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.uint16).T
+    return np.stack([x | (y & 15) << 8, y >> 4 | z << 4], axis=1).reshape(-1)[:n]
+
+
 def pack(codes: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
-    """Ascending codes and an id for each, in about 8 bytes an entry: gaps of 6 bytes and places in a table of ids."""
+    """Ascending codes and an id for each, in about 7.5 bytes an entry: gaps of 6 bytes and places in a table of ids."""
     gaps = np.diff(codes, prepend=codes[:1])
     wide = 6 if gaps.max() < 2**48 else 8
     known, at = np.unique(ids, return_inverse=True)
     return {
-        "first": codes[:1].tobytes(),
+        "first": np.array([codes[0], len(codes)], np.uint64).tobytes(),
         "gaps": gaps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes(),
         "ids": known.tobytes(),
-        "at": at.astype(np.uint16 if len(known) <= 65536 else np.uint32).tobytes(),
+        "at": _narrow(at, len(known)),
     }
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    first, n = np.frombuffer(row["first"], np.uint64)
     known = np.frombuffer(row["ids"], np.int64)
-    at = np.frombuffer(row["at"], np.uint16 if len(known) <= 65536 else np.uint32)
-    wide = len(row["gaps"]) // len(at)
-    gaps = np.zeros((len(at), 8), np.uint8)
+    at = _widen(row["at"], len(known), int(n))
+    wide = len(row["gaps"]) // int(n)
+    gaps = np.zeros((int(n), 8), np.uint8)
     gaps[:, :wide] = np.frombuffer(row["gaps"], np.uint8).reshape(-1, wide)
     with np.errstate(over="ignore"):
-        return np.cumsum(gaps.view(np.uint64)[:, 0], dtype=np.uint64) + np.frombuffer(row["first"], np.uint64)[0], known[at]
+        return np.cumsum(gaps.view(np.uint64)[:, 0], dtype=np.uint64) + first, known[at]
 
 
 PACKED = "first binary, gaps binary, ids binary, at binary"
@@ -145,7 +149,7 @@ def _read(texts: list, ids: list) -> tuple[list[list[bytes]], np.ndarray, np.nda
     """Rows in the order of their ids: words, sizes, hashes laid end to end, ids."""
     words = [(x or "").encode().split() for x in texts]  # bytes.split() knows just these six separators
     sizes = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((y for w in words for y in map(_hashes.__getitem__, w)), np.uint64, int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
     return words, sizes, h, np.array([NO_ID if i is None else i for i in ids], np.int64)
 
 
@@ -192,6 +196,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         owner = ids[owner[at]]
         cuts = np.append(np.searchsorted(codes, bounds), len(codes))
         out = [pack(codes[a:b], owner[a:b]) | {"group": g, "_block": block} for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_pylist(out, schema=sent)
 
     def grow(t: pa.Table) -> pa.Table:
@@ -205,6 +210,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         leaves, least = leaves[by], least[by]
         cuts = np.searchsorted(of[leaves], np.arange(len(parts) + 1))
         out = [pack(codes[leaves[a:b]], least[a:b]) | {"_block": names[k]} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_pylist(out, schema=answered)
 
     def keep(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -225,6 +231,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         covered = np.cumsum(edges[:-1]) > 0
         ends = np.cumsum(sizes)
         removed = np.add.reduceat(np.append(covered, False), np.minimum(ends - sizes, len(h)), dtype=np.int64) * (sizes > 0) if len(sizes) else sizes
+        pa.default_memory_pool().release_unused()
         kept = []
         for w, end, n, gone in zip(words, ends, sizes, removed, strict=True):
             kept.append(b" ".join(w if not gone else [x for x, c in zip(w, covered[end - n : end].tolist(), strict=True) if not c]).decode())

@@ -177,7 +177,7 @@ class Network:
             p[k] -= np.float32(rate) * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)
         return float(-np.log(np.maximum(1e-7, np.where(target > 0, prob, 1 - prob))).mean())
 
-    def logits(self, b: Batch, block: int = 8192) -> np.ndarray:
+    def logits(self, b: Batch, block: int = 2048) -> np.ndarray:
         e = self.embed(b)
         return np.concatenate([np.zeros(0, np.float32), *(self.forward(e, b.windows[k : k + block]) for k in range(0, len(b.windows), block))])
 
