@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import slices
+from tessella.llm.common import materialise, slices
 
 
 def remainder(doc_id: str, mod: int) -> Column:
@@ -29,6 +30,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     return mine.join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).select("text", F.col("_label").alias("label"))
 
 
+def labelled_scores(docs: DataFrame, labels: DataFrame, label: str, fold: Column, scores: Callable[[list], object], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(_label, score) of every labelled document of the fold; of rows that share an id the least score counts.
+
+    Texts are scored where they lie; only ids, labels and scores are shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & fold).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    mine = docs.where(F.col(doc_id).isNotNull() & fold).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    scored = score(mine, lambda: scores).groupBy("_id").agg(F.min("score").alias("score"))
+    return materialise(scored.join(known, "_id").select("_label", "score"), "labelled-scores")
+
+
+def nth_least(df: DataFrame, col: str, n: int) -> float:
+    """The n-th least (from 0) of a column of finite doubles, exactly.
+
+    Four rounds count the values by 16 more bits each, so that what reaches the driver is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = (b.column(0).to_numpy() + 0.0).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"bits": x ^ ((x >> 63) & np.int64(2**63 - 1))})  # in the order of the doubles
+
+    left = df.select(col).mapInArrow(run, "bits long")
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("bits", shift)
+        for value, count in sorted(left.groupBy(part).count().collect()):
+            if n < count:
+                break
+            n -= count
+        left = left.where(part == value)
+    x = np.array([value])
+    return float((x ^ ((x >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
 def score(df: DataFrame, model: Callable[[], Callable[[list], object]], text: str = "text", out: str = "score") -> DataFrame:
     """Adds a score (double) to each row; a column of that name is replaced. No shuffle.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import slices, table
-from tessella.llm.learning import judged, labelled_sample, remainder, score
+from tessella.llm.learning import judged, labelled_sample, labelled_scores, nth_least, remainder, score
 
 OTHER = 9  # features besides the shares of the 256 byte values
 
@@ -58,14 +58,21 @@ class Ranking:
         at = len(bad)  # between the last score of that share and the next
         self.cut = float(s[at - 1] + s[min(at, len(s) - 1)]) / 2
 
+    def strengths(self, texts: list[str | None]) -> np.ndarray:
+        return ((features(texts) - self.mean) / self.scale) @ self.weights
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        s = ((features(texts) - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(s - self.cut, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.strengths(texts) - self.cut, -40, 40)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 5000, text: str = "text", doc_id: str = "doc_id") -> Ranking:
-    """Learns from up to per_label labelled documents of either label, none of them held out (crc32 of the id mod 3 is 1)."""
-    sample = labelled_sample(docs, labels, "quality", remainder(doc_id, 3) != 1, per_label, text, doc_id)
+    """Learns weights from up to per_label labelled documents of either label, none of them held out (crc32 of the id mod 3 is 1).
+
+    The cut is the quantile of the scores of all labelled documents that aren't held out, at their
+    share of label 0: it doesn't depend on the sample's bound.
+    """
+    fold = remainder(doc_id, 3) != 1
+    sample = labelled_sample(docs, labels, "quality", fold, per_label, text, doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -74,11 +81,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 5000, text: str =
 
     rows = sorted(sample.mapInArrow(run, "x binary, label int").collect())
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, 256 + OTHER), np.float32)
-    return Ranking(x, np.array([r.label for r in rows]))
+    model = Ranking(x, np.array([r.label for r in rows]))
+    if len({r.label for r in rows}) == 2:
+        known = labelled_scores(docs, labels, "quality", fold, model.strengths, text, doc_id)
+        n, bad = known.agg(F.count("*"), F.count_if(F.col("_label") == 0)).first()
+        model.cut = (nth_least(known, "score", bad - 1) + nth_least(known, "score", min(bad, n - 1))) / 2
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_label: int = 5000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Adds score: 0 to 1, from 0.5 on as good as the better part of the labelled sample.
+    """Adds score: 0 to 1, from 0.5 on as good as the better part of the labelled documents.
 
     Only text is an input. Null and empty texts are scored as texts without words. Without both
     labels in the sample every score is 0.5. Other columns stay; a column named score is replaced.
