@@ -54,6 +54,11 @@ def composed(fields: tuple[str, ...] = ("subject", "object", "condition", "effec
     return F.concat_ws(" / ", *(F.when(F.length(trim(f)) > 0, F.concat(F.lit(f"{f}="), trim(f))) for f in fields))
 
 
+def has_facts(raw: Column | str) -> Column:
+    """Whether a reply holds an array of facts."""
+    return F.try_variant_get(object_of(raw), "$.facts", "array<variant>").isNotNull()
+
+
 def facts_from_replies(replies: DataFrame, chunks: DataFrame) -> DataFrame:
     """Facts of replies (batch_id, raw) whose chunk is in the batch (batch_id, chunk_id, file_name, path, heading_path, char_start, char_end).
 

@@ -112,9 +112,36 @@ class Corpus:
             self.store.write({"replies": df})
             return self.store.read("replies")
 
-        found = facts.facts_from_replies(ask_in_waves(prompts, "extract", client, save), binned.select("batch_id", "chunk_id", "file_name", "path", "heading_path", "char_start", "char_end"))
+        replies = ask_in_waves(prompts, "extract", client, save)
+        unread = replies.where(F.col("raw").isNotNull() & ~facts.has_facts("raw"))
+        if not unread.isEmpty():  # the model repairs what can't be read here
+            again = ask_in_waves(unread.select("batch_id", F.col("raw").alias("prompt")), "repair_facts", client, save)
+            replies = replies.join(unread.select("batch_id"), "batch_id", "left_anti").unionByName(again)
+        found = facts.facts_from_replies(replies, binned.select("batch_id", "chunk_id", "file_name", "path", "heading_path", "char_start", "char_end"))
         return facts.unique_facts(found.withColumn("seq", F.struct("batch_id", "nth"))).withColumn("seq", F.col("batch_id") * 1000 + F.col("nth"))
 
+    def _reduce(self, got: DataFrame, question: str, wanted: list[str], concepts: list[str], broad: bool, client: Client) -> list[dict]:
+        """At most 120 facts in order: of more, those that the model keeps; if its reply is unreadable or empty, the best by score."""
+        lists = (F.array(*map(F.lit, x)).cast("array<string>") for x in (wanted, concepts))
+        rows = [r.asDict() for r in facts.reduce_facts(got, *lists, got.count()).orderBy("seq").collect()]
+        if len(rows) <= facts.KEPT_FACTS:
+            return rows
+        shown = "\n".join(f"[F{k}] chunk={r['chunk_id']} file={r['file_name']} heading={r['heading_path']} " + " ".join(f"{n}={r[n]}" for n in [*facts.IDENTITY, "confidence", "statement", "quote"]) for k, r in enumerate(rows, 1))
+
+        def indexes(raw: str) -> list[int] | None:
+            return self.spark.createDataFrame([(raw,)], "raw string").select(facts.keep_indexes("raw", F.lit(len(rows)))).first()[0]
+
+        raw = patiently(client, "reduce", f"{question}\nbroad: {broad}\nconcepts: {', '.join(concepts[:80])}\nat most: {facts.KEPT_FACTS}\n{shown}")
+        kept = indexes(raw)
+        if kept is None:
+            try:
+                kept = indexes(patiently(client, "repair_indexes", raw))
+            except Exception:
+                kept = None
+        if kept:
+            return [rows[k - 1] for k in kept[: facts.KEPT_FACTS]]
+        return sorted(sorted(rows, key=lambda r: (-r["score"], r["seq"]))[: facts.KEPT_FACTS], key=lambda r: r["seq"])
+
     def answer(self, question: str, requested: list[int] | None = None, client: Client | None = None, on_event: Callable[[dict], None] | None = None) -> Answer:
         """Retrieves, reads all selected chunks for facts, follows up, reduces, answers, audits, revises and measures."""
         client, run_id, stages = client or OfflineClient(), str(uuid.uuid4()), []
@@ -157,8 +184,7 @@ class Corpus:
             extra = self._extract(expand.focused_chunks(chunks, merged), docs, question, client).withColumn("seq", F.col("seq") + (1 << 60))
             got = facts.unique_facts(got.unionByName(extra))
         stage("synthesize")
-        kept = facts.reduce_facts(got, F.array(*map(F.lit, profile.wanted)).cast("array<string>"), F.array(*map(F.lit, concepts)).cast("array<string>"))
-        listed = [r.asDict() for r in kept.orderBy("seq").collect()]  # at most 120
+        listed = self._reduce(got, question, profile.wanted, concepts, broad, client)
         texts = "\n".join(f"[F{k}] chunk={f['chunk_id']}\nstatement: {f['statement']}" for k, f in enumerate(listed, 1))
         audit = None
         if not listed:
