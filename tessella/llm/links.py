@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise
+from tessella.llm.common import discard, materialise
 
 
 def deal_tiles(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024) -> DataFrame:
@@ -83,16 +83,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = True
         while moved:
             to = p.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            p = materialise(p.join(to, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "jumps")
+            before, p = p, materialise(p.join(to, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "jumps")
+            discard(before)
             moved = not p.where("moved").isEmpty()
-        p = p.select("x", "p")
         if labels is None:
-            labels = p.select(F.col("x").alias("id"), F.col("p").alias("component"))
+            labels = materialise(p.select(F.col("x").alias("id"), F.col("p").alias("component")), "labels")
         else:
             up = p.select(F.col("x").alias("component"), F.col("p").alias("_to"))
-            labels = materialise(labels.join(up, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "labels")
+            before, labels = labels, materialise(labels.join(up, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "labels")
+            discard(before)
         pu, pv = p.select(F.col("x").alias("u"), F.col("p").alias("pu")), p.select(F.col("x").alias("v"), F.col("p").alias("pv"))
-        left = tidy(left.join(pu, "u").join(pv, "v"), F.col("pu"), F.col("pv"))
+        before, left = left, tidy(left.join(pu, "u").join(pv, "v"), F.col("pu"), F.col("pv"))
+        discard(before, p)
     if labels is None:
         labels = left.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return labels

@@ -19,12 +19,17 @@ def run(spark, rows, least=0, **more):
 
 
 def plain(rows, least=0):
-    out, first = {}, {}
-    for i, _, html in sorted(r for r in rows if r[0] is not None):
+    out, first = [], {}
+    for i, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         data = (html or "").encode()
-        known = first.setdefault(data, i) if len(data) >= least else i
-        out[i] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if known == i else "revisit", None if known == i else known)
-    return out
+        again = len(data) >= least and data in first
+        first.setdefault(data, i)
+        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first[data] if again else None))
+    return sorted(out, key=str)
+
+
+def found(got):
+    return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str)
 
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -35,21 +40,44 @@ ROWS = [(3, "http://a/é", "<p>same</p>"), (1, "http://b", "<p>same</p>"), (2, N
 def test_pages_come_back(spark, least):
     rows = ROWS
     _, got = run(spark, rows, least)
-    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == plain(rows, least)
+    assert found(got) == plain(rows, least)
     texts = {r[0]: (r[2] or "").encode() for r in rows}
     assert all(bytes(r.payload) == texts[r.page_id] for r in got if r.record_type == "response")
     assert all(r.payload is None for r in got if r.record_type == "revisit")
 
 
-def test_repeated_page_ids_are_written_once(spark):
-    _, got = run(spark, [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "a")])
-    assert sorted(r.page_id for r in got) == [1, 2]
+def test_every_row_has_a_record(spark):
+    """Null ids, ids of 19 digits, one id with several payloads, and rows that are equal throughout."""
+    top = 2**63 - 1
+    rows = [(10**18, "u", "a"), (5, "u", "a"), (None, "u", "a"), (5, "v", "b"), (2 * 10**18, "u", "b"), (top, "u", "c"), (-top, "u", "c"), (None, "u", "d"), (None, "u", "d"), (None, "v", "d"), (None, None, None), (None, None, "")]
+    rows += [(7, "u", "same")] * 40 + [(7, "w", "same"), (8, "u", "same")]
+    _, got = run(spark, rows)
+    assert found(got) == plain(rows)
+    assert sum(r.record_type == "response" for r in got) == 6
+
+
+def test_payloads_full_of_magic(spark):
+    heads = "WARC/1.1\r\n" * 3000 + "\r\nContent-Length: 7\r\n" + "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc" * 2000
+    rows = [(1, "u", heads), (2, "u" * 100_000, "x" + heads), (3, "u", "漢" * 1_500_000), (4, "u", heads)]
+    _, got = run(spark, rows)
+    assert found(got) == plain(rows)
+
+
+def test_candidates_do_not_depend_on_pieces():
+    record = FAKE.encode()
+    data = record * 3 + b"WARC/1.1\r\nX: 1\r\n\r\n" + record + b"WARC/1.1\r\nContent-Length: 4"
+    whole = warc.candidates([data])
+    assert len(whole[0]) == 4 and whole[1] == len(data)
+    for n in (1, 3, 17, 64):
+        assert warc.candidates(data[i : i + n] for i in range(0, len(data), n)) == whole
+    ranges = [(a, b) for a, b in whole[0][:3]]
+    assert list(warc.records((data[i : i + 5] for i in range(0, len(data), 5)), ranges)) == [record] * 3
 
 
 def test_many_equal_pages_over_many_files(spark):
     rows = [(i, "u", "same") for i in range(500)]
     path, got = run(spark, rows, per_file=40)
-    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == plain(rows)
+    assert found(got) == plain(rows)
     files = [f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".gz")]
     assert len(files) > 4
     with gzip.open(f"{path.removeprefix('file://')}/{files[0]}") as f:
