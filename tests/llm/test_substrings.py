@@ -49,7 +49,7 @@ def corpus(seed, n=60):
 def test_as_brute_force(spark):
     rows = corpus(1)
     assert run(spark, rows, 4) == plain(rows, 4)
-    assert run(spark, rows, 4, block_chars=200, group_codes=20) == plain(rows, 4)
+    assert run(spark, rows, 4, block_chars=200, group_windows=20, subtree_leaves=3) == plain(rows, 4)
 
 
 def test_edges(spark):
@@ -71,15 +71,50 @@ def test_empty_table(spark):
     assert run(spark, [], 4) == []
 
 
+def test_codes_that_collide_change_nothing(spark):
+    rows = corpus(2)
+    for bits in (1, 3, 8):
+        assert run(spark, rows, 4, bits=bits, subtree_leaves=5, block_chars=400) == plain(rows, 4)
+
+
+def test_rows_without_an_id_are_spread_over_blocks(spark):
+    rows = [(None, f"a{i} " + "p q r s t " * 3) for i in range(200)] + [(4, f"b{i} p q r s t") for i in range(50)]
+    assert run(spark, rows, 4, block_chars=100) == plain(rows, 4)
+
+
 def test_packing_is_exact():
     rng = np.random.default_rng(0)
     for codes in (np.sort(rng.integers(0, 2**63, 1000, dtype=np.uint64)), np.array([0, 2**63], np.uint64), np.array([5], np.uint64)):
-        ids = rng.integers(-5, 5, len(codes))
-        a, b = substrings.unpack(substrings.pack(codes, ids))
-        assert (a == codes).all() and (b == ids).all()
-
-
-def test_prefixes_are_longer_where_codes_are_dense():
-    dense = np.concatenate([np.full(900, 1 << 40, np.uint64), np.arange(100, dtype=np.uint64) << np.uint64(57)])
-    bounds = substrings.choose_prefixes(dense, 1000, 50)
-    assert bounds[0] == 0 and (np.diff(bounds.astype(float)) > 0).all() and len(set(np.diff(bounds))) > 2
+        twice = rng.random(len(codes)) < 0.5
+        a, b = substrings.unpack(substrings.pack(codes, twice))
+        assert (a == codes).all() and (b == twice).all()
+
+
+def test_prefixes_are_longer_where_many_suffixes_begin_alike():
+    rng = np.random.default_rng(1)
+    tokens = np.concatenate([np.tile([1, 2, 3, 4, 5, 6], 80), rng.integers(0, 40, 400)]).astype(np.int32)
+    leaves = np.arange(len(tokens) - 6)
+    parts = list(substrings.split_by_prefixes(tokens, leaves, 6, 30))
+    assert sorted(np.concatenate([x for x, _ in parts]).tolist()) == leaves.tolist()
+    assert {d for _, d in parts} >= {0, 6} and all(len(x) <= 30 or d == 6 for x, d in parts)
+    assert all(len({tuple(tokens[i : i + d]) for i in x}) == 1 for x, d in parts)
+
+
+def test_subtrees_hold_leaves_in_order_and_what_they_share():
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(0, 3, 500).astype(np.int32)
+    tree = substrings.Subtree(tokens, rng.permutation(490), 0, 8)
+    rows = [tuple(tokens[i : i + 8]) for i in tree.leaves]
+    assert rows == sorted(rows)
+    lcp = [next((k for k in range(8) if a[k] != b[k]), 8) for a, b in zip(rows, rows[1:], strict=False)]
+    assert tree.shared[1:].tolist() == lcp
+    ids = rng.integers(0, 100, 490)
+    assert tree.least(ids).tolist() == [min(i for r, i in zip(rows, ids, strict=True) if r == row) for row in rows]
+
+
+def test_anchors_are_equal_for_equal_windows():
+    h = np.random.default_rng(3).integers(0, 2**63, 60, dtype=np.uint64)
+    for length in (1, 3, 4, 5, 13):
+        few = min(substrings.ANCHOR_WORDS, length)
+        least = substrings._sum(h, few)
+        assert substrings.anchors(h, length).tolist() == [int(least[i : i + length - few + 1].min()) for i in range(60 - length + 1)]
