@@ -233,37 +233,24 @@ def _parse(data: bytes) -> tuple:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of every record in the files at path.
 
-    One stage emits every candidate with its successor, offsets only; a second keeps, file by file,
-    those that the chain from the file's start reaches; only these are then cut out, digested and
-    parsed. A payload may hold the magic, whole records even: no chain leads into it. A worker holds
-    a compressed file and one record. A response's digest must be the one in its header, and a page
-    id must be readable, or an error is raised. A revisit's payload is null; its size is the one that
-    its HTTP header declares.
+    A file's task goes through it twice: first it notes every candidate with its successor, offsets
+    only, and keeps those that the chain from the file's start reaches; then only these are cut out,
+    digested and parsed. A payload may hold the magic, whole records even: no chain leads into it. A
+    worker holds a compressed file and one record. A response's digest must be the one in its header,
+    and a page id must be readable, or an error is raised. A revisit's payload is null; its size is
+    the one that its HTTP header declares.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.col("path").alias("file"), "content")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            pairs, size = candidates(inflated(b.column(1)[0].as_py()))
-            if size and not pairs:
-                raise ValueError("the chain of records doesn't begin at the file's start")
-            at, successor = np.array(pairs, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_pydict({"file": pa.repeat(b.column(0)[0], len(at)), "at": at, "successor": successor, "size": np.full(len(at), size)})
-
-    def chain(t: pa.Table) -> pa.Table:
-        at, successor = t.column("at").to_numpy(), t.column("successor").to_numpy()
-        keep = reachable(at, successor, t.column("size")[0].as_py())
-        order = np.argsort(at[keep])
-        ranges = np.stack([at[keep][order], successor[keep][order]], axis=1)
-        return pa.table({"file": t.column("file").slice(0, 1), "ranges": pa.array([ranges.tobytes()], pa.binary())})
-
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     fields = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            ranges = np.frombuffer(b.column("ranges")[0].as_py(), np.int64).reshape(-1, 2).tolist()
+            content = b.column("content")[0].as_py()
+            pairs, size = candidates(inflated(content))
+            at, successor = np.array(pairs, np.int64).reshape(-1, 2).T
+            chain = reachable(at, successor, size)
             rows, held = [], 0
-            for data in records(inflated(b.column("content")[0].as_py()), ranges):
+            for data in records(inflated(content), np.stack([at, successor], axis=1)[chain].tolist()):  # in order, as candidates are
                 row = _parse(data)
                 rows.append(row if payloads else (*row[:-1], None))
                 held += len(data) if payloads else 100
@@ -273,8 +260,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             if rows:
                 yield _batch(rows, fields)
 
-    chains = files.mapInArrow(scan, "file string, at long, successor long, size long").groupBy("file").applyInArrow(chain, "file string, ranges binary")
-    return files.join(chains, "file").mapInArrow(parse, FIELDS)
+    return files.mapInArrow(read, FIELDS)
 
 
 def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
