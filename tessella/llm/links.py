@@ -12,44 +12,67 @@ from pyspark.sql import functions as F
 from tessella.llm.common import discard, materialise
 
 
-def deal_tiles(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024) -> DataFrame:
-    """Deals the rows of each bucket (equal keys) out so that any two of them meet in one tile, and sorts by tile.
+BROADCAST_ROWS = 200_000  # of three longs and less: a few MB
+
+
+def deal_parts(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024) -> DataFrame:
+    """Deals the rows of each bucket (equal keys) out so that any two of them meet in one tile.
 
     A bucket of up to limit rows is one tile. A larger one is cut into parts by part_of, and each
     pair of parts is a tile of its own; a row then goes to as many tiles as its bucket has parts.
-    Adds tile (long), part (int; the row's own part) and inner (whether the tile holds one part).
+    Adds part (the row's own part), low and high (the tile's parts; equal if it holds one), all int.
+    The table of large buckets is counted before it is broadcast.
     """
-    large = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_parts"))
-    cut = df.join(large, keys, "left").withColumn("part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(part_of, F.col("_parts"))).cast("int"))
+    large = materialise(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_parts")), "large-buckets")
+    cut = df.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, keys, "left")
+    cut = cut.withColumn("part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(part_of, F.col("_parts"))).cast("int"))
     other = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
     dealt = cut.withColumn("_other", F.explode(other))
-    low, high = F.least("part", "_other"), F.greatest("part", "_other")
-    out = dealt.withColumn("tile", F.xxhash64(*keys, low, high)).withColumn("inner", low == high).drop("_parts", "_other")
+    return dealt.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_parts", "_other")
+
+
+def deal_tiles(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024) -> DataFrame:
+    """deal_parts, and the rows sorted by tile (long): a hash, for users to whom two tiles in one only mean more to compare."""
+    out = deal_parts(df, keys, part_of, limit).withColumn("tile", F.xxhash64(*keys, "low", "high")).drop("low", "high")
     return out.repartition("tile").sortWithinPartitions("tile")
 
 
-def whole_tiles(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Table]:
-    """Batches of rows sorted by tile as tables that hold whole tiles, several small ones together."""
+def whole_tiles(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by some columns, without nulls, as one table for each of their values."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
-            continue
-        t = pa.Table.from_batches(held)
-        tile = t.column("tile").to_numpy()
-        ends = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in by]
+        if held and any(held[-1].column(n)[-1].as_py() != c[0] for n, c in zip(by, columns, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
         start = 0
-        for end in ends:
-            if end - start >= rows or end == ends[-1]:
-                yield t.slice(start, end - start)
-                start = end
-        held = t.slice(start).to_batches()
+        for end in (np.flatnonzero(new) + 1).tolist():
+            held.append(batch.slice(start, end - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], end
+        held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
 
 
+def joint_tiles(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Table]:
+    """Batches of rows sorted by tile as tables that hold whole tiles, several small ones together."""
+    held, n = [], 0
+    for t in whole_tiles(batches, ["tile"]):
+        held.append(t)
+        n += t.num_rows
+        if n >= rows:
+            yield pa.concat_tables(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_tables(held)
+
+
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among n items as (least item of the group, other item): as many as items, whatever the links."""
     label = np.arange(n)

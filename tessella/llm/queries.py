@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substrings.ORACLE_SQL,
     "op4_topk": vectors.TOPK_SQL,
+    "op5_embedding_dedup": vectors.NEAR_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }

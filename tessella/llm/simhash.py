@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import materialise, slices, table
-from tessella.llm.links import components, deal_tiles, stars, whole_tiles
+from tessella.llm.links import components, deal_tiles, joint_tiles, stars
 
 BITS, RADIUS = 64, 3
 
@@ -118,7 +118,7 @@ def groups(df: DataFrame, fp: str = "fp", doc_id: str = "doc_id", radius: int =
     dealt = deal_tiles(rows, ["t", "key"], F.xxhash64("fp")).select("tile", "fp")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_tiles(batches):
+        for t in joint_tiles(batches):
             fps = np.unique(t.column("fp").to_numpy())
             a, b = stars(len(fps), *within(fps.view(np.uint64), radius))
             yield pa.RecordBatch.from_pydict({"a": fps[a], "b": fps[b]})

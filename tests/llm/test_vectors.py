@@ -89,15 +89,26 @@ def test_large_buckets_are_cut_without_loss(spark):
     assert sum(got.values()) >= 0.99 * n.sum() and all(got[i] <= n[i] for i in got)
 
 
-def test_codes_estimate_without_bias_and_bound():
+@pytest.mark.parametrize("d", [3, 16, 64, 100])
+def test_codes_estimate_without_bias_and_bound(d):
     rng = np.random.default_rng(3)
-    u = rng.standard_normal((400, 64))
+    u = rng.standard_normal((400, d))
+    u[200:] = u[:200] + rng.standard_normal((200, d)) * 0.2  # so that high products occur
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    codes = vectors.Codes(u)
-    estimate = codes.code @ codes.rotated.T / codes.factor[:, None]
-    error = estimate - u @ u.T
+    codes = vectors.Codes.read(d, vectors.Codes.of(u).stored())
+    error = codes.estimates(slice(None)) - u @ u.T
     assert abs(error.mean()) < 0.01
-    assert (np.abs(error) > codes.bound[:, None]).mean() < 0.003
+    for t in (0.0, 0.9):
+        some = u @ u.T >= t
+        assert (np.abs(error) > 3 * codes.deviation(slice(None), t))[some].mean() < 0.01
+    near = u @ u.T >= 0.95
+    assert codes.possible(0.95, slice(None))[near].mean() > 0.999
+
+
+def test_codes_reject_what_is_far():
+    u = np.random.default_rng(4).standard_normal((500, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert vectors.Codes.of(u).possible(0.95, slice(None)).mean() < 0.003  # little besides each with itself
 
 
 @pytest.mark.parametrize("n", [0, 100, 10**5, 10**9])
@@ -111,3 +122,26 @@ def test_empty_table(spark, tmp_path):
     path = write(spark, tmp_path, [])
     assert vectors.op4_topk(spark, path).collect() == []
     assert vectors.op5_embedding_dedup(spark, path).collect() == []
+
+
+def test_every_row_is_a_candidate_and_order_changes_nothing(spark):
+    """A repeated row counts as often as it occurs; a repeated query id asks with its least vector; only equal lengths meet."""
+    rows = [(0, [1, 2]), (0, [2, 1]), (1, [3, 3]), (1, [3, 3]), (2, [1, 0]), (3, [5, 5, 5]), (4, [1, 1, 1]), (1, [0, 1])]
+    for by in (rows, rows[::-1]):
+        df = spark.createDataFrame(by, "vec_id long, v array<bigint>").repartition(3)
+        got = sorted(map(tuple, vectors.top_k(df.where("vec_id IN (0, 3)"), df, 4).collect()))
+        assert got == [(0, 1, 1, 9), (0, 2, 1, 9), (0, 3, 1, 2), (0, 4, 2, 1), (3, 1, 4, 15)]
+
+
+def test_sums_beyond_a_long_raise(spark):
+    big = spark.createDataFrame([(1, [2**40, 2**40]), (2, [2**30, 2**30])], "vec_id long, v array<bigint>")
+    with pytest.raises(Exception, match="fit a long"):
+        vectors.top_k(big, big, 5).collect()
+    close = spark.createDataFrame([(1, [2**31, -(2**31)]), (2, [2**32 - 1, 2**31])], "vec_id long, v array<bigint>")
+    assert {r.score for r in vectors.top_k(close, close, 5).collect()} == {2**31 * (2**32 - 1) - 2**62}
+
+
+def test_one_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (3, [0.01, 0.99]), (0, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vectors.near_vectors(df).collect()))
+    assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False)]
