@@ -14,6 +14,7 @@ import base64
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import regex
 
 
@@ -114,7 +115,7 @@ class State:
 
     def __init__(self, last: int, pending: bytes, ends: tuple[int, ...], live: tuple[int, ...]):
         self.last, self.pending, self.ends, self.live = last, pending, ends, live
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+        self.next: dict[int, tuple[State, tuple[int, ...]]] | int | None = None  # by byte, or the number of the state
         self.rest: tuple[int, ...] | None = None
 
 
@@ -142,6 +143,7 @@ class Transducer:
         s = self.states.get((last, pending))
         if s is None:
             s = State(last, pending, ends, live)
+            s.next = {}
             if len(self.states) < self.max_states:
                 self.states[last, pending] = s
             else:
@@ -219,17 +221,126 @@ class Transducer:
                 out += emitted
         return [*out, *self.finish(s)]
 
-    def count(self, piece: bytes) -> int:
-        """len(encode(piece)): only the numbers on the transitions are added."""
-        if self.v.whole and piece in self.v.ids:
-            return 1
-        if self.passing > 20 * self.max_states:
+
+class _Numbered(Transducer):
+    """A transducer whose states know their place in a list, and whose transitions are kept elsewhere."""
+
+    def reset(self) -> None:
+        self.listed: list[State] = []
+        super().reset()
+
+    def _state(self, last: int, pending: bytes, ends: tuple[int, ...], live: tuple[int, ...]) -> State:
+        s = self.states.get((last, pending))
+        if s is None:
+            s = self.states[last, pending] = State(last, pending, ends, live)
+            s.next = len(self.listed)
+            self.listed.append(s)
+        return s
+
+    def _to(self, s: State, byte: int, after: tuple, emitted: tuple[int, ...]) -> tuple[State, tuple[int, ...]]:
+        return self._state(*after), emitted
+
+
+class CountTable:
+    """The transducer compiled for counting: states are numbers, and a transition carries how many tokens it emits.
+
+    Transitions are made on first use and kept in one array of (state and byte, state after and tokens),
+    by open addressing, so that many stretches of bytes move at once. State 0 is the start.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 500_000, max_moves: int = 1_000_000):
+        self.transducer = _Numbered(vocabulary)
+        self.max_states, self.max_moves = max_states, max_moves
+        self.reset()
+
+    def reset(self) -> None:
+        self.transducer.reset()
+        self.objects = self.transducer.listed
+        self.ends = np.full(1 << 12, -1, np.int64)  # what ends with the input in a state; -1: not asked for yet
+        self.moves, self.log = 0, 16
+        self.table = np.full((1 << self.log, 2), -1, np.int64)
+
+    def trim(self) -> None:
+        """Forgets all if there is much; only between texts, as state numbers change."""
+        if len(self.objects) > self.max_states or self.moves > self.max_moves:
             self.reset()
-        s, n = self.start, 0
-        for byte in piece:
-            s, emitted = s.next.get(byte) or self.step(s, byte)
-            n += len(emitted)
-        return n + len(self.finish(s))
+
+    def rest(self, states: np.ndarray) -> np.ndarray:
+        """For each state, the tokens of what is pending in it."""
+        if len(self.objects) > len(self.ends):
+            self.ends = np.append(self.ends, np.full(len(self.objects), -1, np.int64))
+        out = self.ends[states]
+        if len(out) and out.min() < 0:
+            for n in np.unique(states[out < 0]).tolist():
+                s = self.objects[n]
+                self.ends[n] = len(self.transducer._path(s.ends, len(s.pending)))
+            out = self.ends[states]
+        return out
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).view(np.int64)
+
+    def _insert(self, rows: np.ndarray) -> None:
+        at, mask = self._home(rows[:, 0].copy()), len(self.table) - 1
+        while len(rows):
+            free = np.flatnonzero(self.table[at, 0] < 0)
+            slot, one = np.unique(at[free], return_index=True)  # of several for one slot the first has it
+            done = free[one]
+            self.table[slot] = rows[done]
+            left = np.ones(len(rows), bool)
+            left[done] = False
+            rows, at = rows[left], (at[left] + 1) & mask
+
+    def _learn(self, keys: np.ndarray) -> None:
+        values, step, objects = [], self.transducer.step, self.objects
+        for key in keys.tolist():
+            after, emitted = step(objects[key >> 8], key & 255)
+            values.append(after.next << 16 | len(emitted))
+        self.moves += len(keys)
+        while 3 * self.moves > len(self.table):
+            old = self.table[self.table[:, 0] >= 0]
+            self.log += 1
+            self.table = np.full((1 << self.log, 2), -1, np.int64)
+            self._insert(old)
+        self._insert(np.stack([keys, np.array(values, np.int64)], axis=1))
+
+    def step(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """For each state and byte: the number of the state after, and below it, in 16 bits, the tokens emitted."""
+        keys = states << 8 | data
+        while True:
+            at, mask = self._home(keys), len(self.table) - 1
+            rows = self.table.take(at, axis=0)
+            off, unknown = np.flatnonzero(rows[:, 0] != keys), None
+            while len(off):
+                none = rows[off, 0] < 0
+                if none.any():
+                    unknown = np.unique(keys[off[none]])
+                    break
+                at[off] = (at[off] + 1) & mask
+                rows[off] = self.table[at[off]]
+                off = off[rows[off, 0] != keys[off]]
+            if unknown is None:
+                return rows[:, 1]
+            self._learn(unknown)
+
+    def run(self, data: np.ndarray, marks: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What stretches of bytes do to states: (tokens, state after) for each, from its entry. Before a marked byte a piece ends."""
+        count, leave = np.zeros(len(starts), np.int64), entry.copy()
+        for block in range(0, len(starts), 8192):
+            order = block + np.argsort(-sizes[block : block + 8192], kind="stable")
+            at, live, state, n_tokens = starts[order], sizes[order], entry[order], np.zeros(len(order), np.int64)
+            ends = np.searchsorted(-live, -np.arange(live[0] if len(live) else 0), "left")  # how many are longer than k
+            for k, n in enumerate(ends.tolist()):
+                place = at[:n] + k
+                cut = np.flatnonzero(marks[place])
+                if len(cut):
+                    n_tokens[cut] += self.rest(state[cut])
+                    state[cut] = 0
+                moved = self.step(state[:n], data[place])
+                state[:n] = moved >> 16
+                n_tokens[:n] += moved & 0xFFFF
+            count[order], leave[order] = n_tokens, state
+        return count, leave
 
 
 class Remembered(dict):

@@ -87,71 +87,78 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     return df.mapInArrow(lambda batches: _decoded(_encoded(batches, ranks_path, pattern, text, ids), ranks_path, ids, decoded), schema)
 
 
-class CountMap:
-    """What a stretch of text does to a count: a map from the state before it to (tokens, state after it).
-
-    The state before is the unfinished stretch to its left. No match of the pattern goes from other
-    characters into white space, and nothing looks back, so all states before have become one at
-    the first such place: the map is (text up to there, tokens from there to the last such place,
-    text after it). Without such a place it only lengthens the unfinished stretch (rest is None).
-    """
-
-    __slots__ = ("count", "head", "rest")
-
-    def __init__(self, head: str, count: int = 0, rest: str | None = None):
-        self.head, self.count, self.rest = head, count, rest
-
-
 class Counter:
-    """Token counts of texts by a transducer whose transitions carry numbers; chunks compose by a prefix scan."""
+    """Token counts of texts by state maps: what each chunk of a text does to the state of one counting transducer.
+
+    All chunks of all texts move through the transducer at once. A chunk's map is known where it is
+    asked for: at first from the state that the stretch before the chunk leads to, begun at the last
+    place where a piece starts (there all states become one) or, in a longer piece, `look` bytes before.
+    Where that isn't the state that the chunk before ends in, the map is extended by that state; equal
+    chunks share their maps. Once each map's entry is its forerunner's exit, the maps compose by a prefix
+    sum over chunks.
+    """
 
-    def __init__(self, vocabulary: bpe.Vocabulary, pattern: str, specials: list[str], chunk: int = 65_536):
+    def __init__(self, vocabulary: bpe.Vocabulary, pattern: str, specials: list[str], chunk: int = 128, look: int = 64):
         self.pieces = bpe.splitter(pattern)
         self.split = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))).split if specials else lambda x: [x]
-        self.first = regex.compile(r"\S(?=\s)").search
-        self.last = regex.compile(r"(?r)\S(?=\s)").search
-        self.transducer = bpe.Transducer(vocabulary)
-        count = self.transducer.count
-        self.known = bpe.Remembered(lambda piece: count(piece.encode()))
-        self.chunk = chunk
-
-    def plain(self, text: str) -> int:
-        """The count of a stretch that nothing before or after it touches."""
-        parts = self.split(text)
-        return len(parts) - 1 + sum(sum(map(self.known.__getitem__, self.pieces(x))) for x in parts)
-
-    def map(self, text: str) -> CountMap:
-        a = self.first(text)
-        if a is None:
-            return CountMap(text)
-        cut, end = a.start() + 1, self.last(text).start() + 1
-        return CountMap(text[:cut], self.plain(text[cut:end]), text[end:])
-
-    def then(self, a: CountMap, b: CountMap) -> CountMap:
-        """a, then b; associative. A place between the two counts as well."""
-        if a.rest is None or b.rest is None:
-            head, rest = (a.head, a.rest) if a.rest is not None else (None, None)
-            left = rest if rest is not None else a.head
-            middle, tail, n = left + b.head, b.rest, b.count
-            seam = len(left) if left and b.head and not left[-1].isspace() and self.first(left[-1] + b.head[0]) else 0
-            if head is None:  # a has no place of its own
-                if not seam:
-                    return CountMap(middle, n, tail)
-                return CountMap(left, n + (0 if tail is None else self.plain(b.head)), b.head if tail is None else tail)
-            if tail is None:
-                return CountMap(head, a.count + (self.plain(left) if seam else 0), b.head if seam else middle)
-        return CountMap(a.head, a.count + self.plain(a.rest + b.head) + b.count, b.rest)
+        self.table = bpe.CountTable(vocabulary)
+        self.chunk, self.look = chunk, look
+
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """The count of each text, one for each special string in it. Null and empty texts have 0."""
+        self.table.trim()
+        out, bodies, sizes, lengths = np.zeros(len(texts), np.int64), [], [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            parts = self.split(text or "")
+            out[k] = len(parts) - 1
+            for part in parts:
+                pieces = self.pieces(part)
+                data = part.encode() if part.isascii() else None
+                found = list(map(len, pieces)) if data is not None else [len(x.encode()) for x in pieces]
+                if data is None or sum(found) != len(data):
+                    data = "".join(pieces).encode()
+                bodies.append(data)
+                sizes.append(np.array(found, np.int64))
+                lengths[k] += len(data)
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        pieces = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))])[:-1]
+        return out + self._counts(data, pieces, lengths)
 
     def total(self, text: str | None) -> int:
-        """Short texts are one chunk. The maps of longer ones are reduced in pairs, a level at a time."""
-        text = text or ""
-        if len(text) <= self.chunk:
-            return self.plain(text)
-        maps = [self.map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-        while len(maps) > 1:
-            maps = [self.then(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
-        return self.plain(m.head) + m.count + (self.plain(m.rest) if m.rest is not None else 0)
+        return int(self.totals([text])[0])
+
+    def _counts(self, data: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each text; they lie end to end in data, and a piece begins at each of pieces."""
+        marks = np.zeros(len(data), bool)
+        marks[pieces] = True
+        chunks = -(-lengths // self.chunk)
+        of = np.repeat(np.arange(len(lengths)), chunks)
+        begin = np.cumsum(lengths) - lengths
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        starts = begin[of] + nth * self.chunk
+        sizes = np.minimum(self.chunk, (begin + lengths)[of] - starts)
+        entry, inner = np.zeros(len(of), np.int64), np.flatnonzero(nth)
+        if len(inner):
+            cut = starts[inner]
+            back = np.minimum(cut - pieces[np.searchsorted(pieces, cut, "left") - 1], self.look)
+            entry[inner] = self.table.run(data, marks, cut - back, back, np.zeros(len(inner), np.int64))[1]
+        count, leave = self.table.run(data, marks, starts, sizes, entry)
+        maps: dict[tuple[bytes, bytes, int], tuple[int, int]] = {}
+        while True:
+            wrong = inner[entry[inner] != leave[inner - 1]]
+            if not len(wrong):
+                break
+            entry[wrong] = leave[wrong - 1]
+            names = [(data[a : a + n].tobytes(), marks[a : a + n].tobytes(), e) for a, n, e in zip(starts[wrong].tolist(), sizes[wrong].tolist(), entry[wrong].tolist(), strict=True)]
+            new = {name: k for name, k in zip(names, wrong.tolist(), strict=True) if name not in maps}
+            some = np.fromiter(new.values(), np.int64, len(new))
+            if len(some):
+                maps.update(zip(new, zip(*(x.tolist() for x in self.table.run(data, marks, starts[some], sizes[some], entry[some])), strict=True), strict=True))
+            count[wrong], leave[wrong] = np.array([maps[name] for name in names], np.int64).T
+        scan = np.concatenate([[0], np.cumsum(count)])
+        ends = np.cumsum(chunks)
+        last = np.where(chunks > 0, self.table.rest(leave[np.maximum(ends - 1, 0)]) if len(leave) else 0, 0)
+        return scan[ends] - scan[ends - chunks] + last
 
 
 def _byte_letters() -> dict[str, int]:
@@ -185,13 +192,13 @@ def token_counts(df: DataFrame, json_path: str, pattern: str, text: str = "text"
     """Adds the number of tokens of a text column (long); a column of that name is replaced.
 
     Added tokens of the vocabulary count one where their strings stand. Null and empty texts have 0.
-    A narrow stage: no shuffle, and a long text is counted in chunks whose maps compose.
+    A narrow stage: no shuffle. Texts of any length are counted in chunks whose state maps compose.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(json_path, pattern)
-        for batch in slices(batches):
-            yield _with(batch, count, pa.array([counter.total(x) for x in batch.column(text).to_pylist()], pa.int64()))
+        for batch in slices(batches, 1000):
+            yield _with(batch, count, pa.array(counter.totals(batch.column(text).to_pylist()), pa.int64()))
 
     return df.mapInArrow(run, _append(df, count, T.LongType()))
 

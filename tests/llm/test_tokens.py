@@ -76,20 +76,37 @@ def test_counts_and_chunk_maps(counter):
     rng = random.Random(1)
     texts = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     texts += ["", "<|endoftext|>", "a<|endoftext|>  b<|endoftext|>\n", "x" * 500, " \n" * 200]
+    texts += ["a" * 5000, "=" * 3000 + "-" * 3001, " " * 4000 + "x", "abc" * 1500, "漢字仮名" * 700, "".join(rng.choice("acgt") for _ in range(9000)), "thereadingword" * 300]
     want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
-    for chunk in (3, 7, 65536):
-        counter.chunk = chunk
-        assert [counter.total(x) for x in texts] == want
-    counter.chunk = 65536
-
-
-def test_chunk_maps_are_associative(counter):
-    rng = random.Random(2)
-    for _ in range(200):
-        a, b, c = (counter.map("".join(rng.choice("ab  \n") for _ in range(rng.randint(1, 6)))) for _ in range(3))
-        left, right = counter.then(counter.then(a, b), c), counter.then(a, counter.then(b, c))
-        total = lambda m: counter.plain(m.head) + m.count + (counter.plain(m.rest) if m.rest is not None else 0)
-        assert total(left) == total(right)
+    for chunk, look in ((3, 2), (7, 0), (128, 64), (128, 4)):
+        counter.chunk, counter.look = chunk, look
+        assert counter.totals(texts).tolist() == want
+        assert [counter.total(x) for x in texts[:40]] == want[:40]
+    counter.chunk, counter.look = 128, 64
+    assert counter.totals([]).tolist() == [] and counter.totals([None, ""]).tolist() == [0, 0]
+
+
+def test_maps_of_stretches_compose(counter):
+    """From any state, a stretch does what its two halves do one after the other."""
+    text = "the reading of words, 漢字 and numbers 1234 " * 3
+    data = np.frombuffer(text.encode(), np.uint8)
+    marks = np.zeros(len(data), bool)
+    counter.total(text)
+    states = np.random.default_rng(0).integers(0, len(counter.table.objects), 200)
+    n = np.full(200, len(data))
+    for half in (1, 20, 77):
+        whole = counter.table.run(data, marks, 0 * n, n, states)
+        a, between = counter.table.run(data, marks, 0 * n, 0 * n + half, states)
+        b, after = counter.table.run(data, marks, 0 * n + half, n - half, between)
+        assert (whole[0] == a + b).all() and (whole[1] == after).all()
+
+
+def test_small_tables_count_alike():
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own = tokens.Counter(tokens.read_json(P.path("byte_bpe_50k.json"))[0], P.PATTERN, [])
+    own.table.max_states = 5
+    for text in ("some words " * 30, "other ones " * 40, "z" * 700):
+        assert own.total(text) == len(t.encode(text, add_special_tokens=False).ids)
 
 
 ROWS = [(1, "One text.", "x"), (2, None, "y"), (3, "", None), (3, "", None), (None, "naïve 漢字", "z"), (4, "word " * 30_000, "w")]
