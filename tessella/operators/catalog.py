@@ -13,8 +13,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.text import trim
+from tessella.scratch import materialise
 
 MISSING = "source file is missing"
 
@@ -55,7 +57,7 @@ def upsert(known: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def _dense_order(df: DataFrame, column: str) -> DataFrame:
     """Adds _nth, 1 for the least value: rank in a range partition plus the sizes of those before it."""
-    parts = df.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    parts = materialise(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")  # bounds are sampled once
     before = parts.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     nth = F.row_number().over(W.partitionBy("_p").orderBy(column))
     return parts.withColumn("_r", nth).join(F.broadcast(before), "_p").select(column, (F.col("_r") + F.col("_before")).cast("long").alias("_nth"))
@@ -159,46 +161,109 @@ def find_items(items: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """Tables as versions in a folder; readers follow the pointer, which changes once all is written."""
+    """Tables as versions in a folder. Readers follow a pointer; it moves once, when all that belongs together is written.
+
+    A child table of documents is kept in buckets of document ids, and a change writes only the
+    buckets that it touches. A pointer is a small file with a number; the highest one counts, and
+    two writers that began from the same one can't both move it.
+    """
+
+    BUCKETS, POINTERS_KEPT = 64, 5
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._text = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str:
-        return posixpath.join(self.root, "_CURRENT")
-
-    def versions(self) -> dict[str, str]:
-        path = self._path(self._pointer())
-        if not self._fs.exists(path):
-            return {}
-        rows = self.spark.read.option("wholetext", True).text(self._pointer() + "/*.txt").collect()
-        return json.loads(max(r.value for r in rows)[20:]) if rows else {}
+    def _list(self, path: str) -> list[str]:
+        target = self._path(path)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(target)) if self._fs.exists(target) else []
+
+    def _pointers(self) -> list[str]:
+        return [n for n in self._list(posixpath.join(self.root, "_CURRENT")) if n.isdigit()]
+
+    def versions(self) -> dict[str, dict]:
+        """name -> {schema, parts}, where parts are the folders that hold its rows."""
+        names = self._pointers()
+        return self._versions(names[-1]) if names else {}
+
+    def _versions(self, name: str) -> dict[str, dict]:
+        stream = self._fs.open(self._path(posixpath.join(self.root, "_CURRENT", name)))
+        try:
+            return json.loads(self._text.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def stage(self, name: str, df: DataFrame) -> dict:
+        """Writes a new version that no reader sees yet."""
+        version = f"{name}/v-{uuid.uuid4().hex}"
+        df.write.parquet(posixpath.join(self.root, version))
+        return {"schema": df.schema.json(), "parts": {"": version}}
+
+    def bucket(self, column: str = "document_id") -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.BUCKETS))
+
+    def touched(self, documents: DataFrame) -> list[int]:
+        """The buckets of some documents (document_id): at most as many as there are buckets."""
+        return sorted(r[0] for r in documents.select(self.bucket()).distinct().collect())
+
+    def stage_children(self, name: str, fresh: DataFrame, documents: DataFrame, touched: list[int]) -> dict:
+        """A new version of a child table in which the rows of the given documents are replaced. Untouched buckets stay the files that they are."""
+        now = self.versions().get(name, {"schema": fresh.schema.json(), "parts": {}})
+        old = self.load(now, [p for k, p in now["parts"].items() if int(k) in touched])
+        rows = replace_children(old, fresh.select(*old.columns), documents)
+        version = f"{name}/v-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self.bucket()).repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(posixpath.join(self.root, version))
+        parts = {k: p for k, p in now["parts"].items() if int(k) not in touched}
+        for folder in self._list(posixpath.join(self.root, version)):
+            if folder.startswith("_bucket="):
+                parts[folder.removeprefix("_bucket=")] = f"{version}/{folder}"
+        return {"schema": now["schema"], "parts": parts}
+
+    def load(self, entry: dict, parts: list[str] | None = None) -> DataFrame:
+        """The rows of a staged or current version, or of some of its folders."""
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        parts = list(entry["parts"].values()) if parts is None else parts
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(posixpath.join(self.root, p) for p in sorted(parts)))
+
+    def commit(self, entries: dict[str, dict]) -> None:
+        """Moves the pointer to staged versions, all at once. Raises if another writer was first."""
+        names = self._pointers()
+        now = (self._versions(names[-1]) if names else {}) | entries
+        folder, name = posixpath.join(self.root, "_CURRENT"), f"{int(names[-1]) + 1 if names else 1:020d}"
+        draft, final = self._path(posixpath.join(folder, f".draft-{uuid.uuid4().hex}")), self._path(posixpath.join(folder, name))
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(bytearray(json.dumps(now, sort_keys=True).encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise RuntimeError("another writer has changed the store; begin again")
+        for old in names[: -self.POINTERS_KEPT]:
+            self._fs.delete(self._path(posixpath.join(folder, old)), False)
 
     def write(self, tables: dict[str, DataFrame]) -> None:
         """Writes new versions of some tables and then moves the pointer to all of them at once."""
-        now = self.versions()
-        for name, df in tables.items():
-            version = f"{name}/v-{uuid.uuid4().hex}"
-            df.write.parquet(posixpath.join(self.root, version))
-            now[name] = version
-        step = int(max((v for k, v in now.items() if k == "_step"), default="0")) + 1
-        now["_step"] = str(step)
-        line = self.spark.createDataFrame([(f"{step:020d}" + json.dumps(now, sort_keys=True),)], "value string").coalesce(1)
-        line.write.mode("append").text(self._pointer())
+        self.commit({name: self.stage(name, df) for name, df in tables.items()})
 
     def read(self, name: str) -> DataFrame | None:
-        version = self.versions().get(name)
-        return self.spark.read.parquet(posixpath.join(self.root, version)) if version else None
+        entry = self.versions().get(name)
+        return None if entry is None else self.load(entry)
+
+    def vacuum(self) -> int:
+        """Deletes versions that none of the kept pointers lead to; how many. Not while another writer is at work."""
+        used = {p.split("/_bucket=")[0] for name in self._pointers() for e in self._versions(name).values() for p in e["parts"].values()}
+        gone = [f"{name}/{v}" for name in self._list(self.root) if name not in ("_CURRENT", "log") for v in self._list(posixpath.join(self.root, name)) if f"{name}/{v}" not in used]
+        for path in gone:
+            self._fs.delete(self._path(posixpath.join(self.root, path)), True)
+        return len(gone)
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(posixpath.join(self.root, "log", name))
 
     def log(self, name: str) -> DataFrame:
         return self.spark.read.parquet(posixpath.join(self.root, "log", name))
-
-
-def selected_flag(column: str = "selected") -> Column:
-    return F.col(column).cast("int")

@@ -79,21 +79,30 @@ def _joined(items: Column, n: int, by: str = ", ") -> Column:
     return F.array_join(F.slice(items, 1, n), by)
 
 
-def batch_context(batch: DataFrame, documents: DataFrame, sections: DataFrame, concepts: list[str]) -> str:
-    """What a batch of chunks lies in: at most 60 concepts, 8 documents and 12 sections that share a chunk or heading with it.
+def hierarchy(documents: DataFrame, contexts: DataFrame, sections: DataFrame, chosen: DataFrame, wanted: Column, hits: Column, broad: bool) -> tuple[DataFrame, DataFrame]:
+    """What the chosen documents (document_id) lie in: (documents, sections) with file_name and path, of sections the relevant ones with their rank."""
+    named = documents.select(F.col("id").alias("document_id"), "file_name", "path").join(chosen.distinct(), "document_id", "left_semi")
+    return contexts.join(named, "document_id"), relevant_sections(sections.join(named, "document_id"), wanted, hits, broad)
 
-    documents and sections are as the rollups give them, with file_name and path; sections keep their rank.
+
+def batch_contexts(batches: DataFrame, documents: DataFrame, sections: DataFrame, concepts: list[str]) -> DataFrame:
+    """(batch_id, context): what each batch of chunks (batch_id, document_id, chunk_id, heading_path) lies in.
+
+    At most 60 concepts, 8 documents and 12 sections that share a chunk or heading with it. documents
+    and sections are as hierarchy gives them; of sections there are at most 120, so they are broadcast.
     """
-    docs = documents.join(batch.select("document_id").distinct(), "document_id", "left_semi").orderBy("file_name", "document_id").limit(8)
     doc_line = F.format_string("- file=%s path=%s chunks=%d chars=%d concepts=%s summary=%s", "file_name", "path", "chunk_count", "char_count", _joined(F.col("concepts"), 20), "summary_text")
-    ids = batch.select(F.col("document_id").alias("d"), F.col("chunk_id").alias("c"), F.col("heading_path").alias("h"))
-    mine = sections.join(ids, (F.col("document_id") == F.col("d")) & (F.array_contains("chunk_ids", F.col("c")) | (F.col("heading_path") == F.col("h"))), "left_semi").orderBy("rank").limit(12)
     sec_line = F.format_string("- file=%s path=%s heading=%s chars=%d-%d concepts=%s summary=%s", "file_name", "path", "heading_path", "char_start", "char_end", _joined(F.col("concepts"), 20), "summary_text")
-    d, s = [r[0] for r in docs.select(doc_line).collect()], [r[0] for r in mine.select(sec_line).collect()]
-    if documents.isEmpty() and sections.isEmpty():
-        return NOTHING
-    head = [f"CORPUS concepts: {', '.join(concepts[:60])}"] if concepts else []
-    return "\n".join([*head, "DOCUMENT parents:", *d, "SECTION parents:", *s]) + "\n"
+    listed = lambda n: F.array_join(F.slice(F.array_sort(F.collect_set("line")), 1, n).getField("text"), "\n")
+    docs = documents.select("document_id", F.struct("file_name", "document_id", doc_line.alias("text")).alias("line"))
+    docs = batches.select("batch_id", "document_id").distinct().join(docs, "document_id").groupBy("batch_id").agg(listed(8).alias("docs"))
+    secs = F.broadcast(sections.select("document_id", "chunk_ids", F.col("heading_path").alias("_h"), F.struct("rank", sec_line.alias("text")).alias("line")))
+    mine = batches.join(secs, "document_id").where(F.array_contains("chunk_ids", F.col("chunk_id")) | (F.col("heading_path") == F.col("_h")))
+    mine = mine.groupBy("batch_id").agg(listed(12).alias("secs"))
+    head = f"CORPUS concepts: {', '.join(concepts[:60])}\n" if concepts else ""
+    rows = batches.select("batch_id").distinct().join(docs, "batch_id", "left").join(mine, "batch_id", "left")
+    text = F.concat(F.lit(head + "DOCUMENT parents:\n"), F.coalesce("docs", F.lit("")), F.lit("\nSECTION parents:\n"), F.coalesce("secs", F.lit("")), F.lit("\n"))
+    return rows.select("batch_id", F.when(F.col("docs").isNull() & F.col("secs").isNull(), NOTHING).otherwise(text).alias("context"))
 
 
 def answer_context(documents: DataFrame, sections: DataFrame, concepts: list[str], broad: bool) -> str:

@@ -19,31 +19,39 @@ def list_files(root: str) -> list[str]:
     return sorted(p for p in found if os.path.isfile(p) and not os.path.islink(p))
 
 
-def _read(path: str) -> tuple:
+def _read(path: str, text: bool) -> tuple:
     try:
         with open(path, "rb") as f:
             data = f.read()
-        text = data.decode("utf-8", "replace")
-        return path, os.path.basename(path), len(data), os.stat(path).st_mtime_ns // 1_000_000, hashlib.sha256(data).hexdigest(), text, len(text), None
+        found = data.decode("utf-8", "replace")
+        return path, os.path.basename(path), len(data), os.stat(path).st_mtime_ns // 1_000_000, hashlib.sha256(data).hexdigest(), found if text else None, len(found), None
     except OSError as e:
         return path, os.path.basename(path), None, None, None, None, None, str(e)
 
 
-def read_folder(spark: SparkSession, root: str, per_task: int = 64) -> DataFrame:
-    """Each file's text (bytes that aren't UTF-8 become U+FFFD), digest, size and time; a file that can't be read has an error instead.
+def read_files(paths: DataFrame, text: bool = True) -> DataFrame:
+    """Each file's text, digest, size and time, from its path; a file that can't be read has an error instead.
 
-    The folder must be one that all executors see. Spark's own file sources skip names that begin
-    with a dot or underscore, and empty files, so the names are listed here.
+    Bytes that aren't UTF-8 become U+FFFD. Without text, that column is null and files only pass through.
     """
-    paths = list_files(root)
-    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // per_task))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         labels = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
             for i in range(0, b.num_rows, 16):
-                rows = [_read(p) for p in b.column(0).slice(i, 16).to_pylist()]
+                rows = [_read(p, text) for p in b.column(0).slice(i, 16).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=labels)
 
-    return names.mapInArrow(run, SCHEMA)
+    return paths.select("path").mapInArrow(run, SCHEMA)
+
+
+def read_folder(spark: SparkSession, root: str, per_task: int = 64, text: bool = True) -> DataFrame:
+    """read_files for all files below root.
+
+    The folder must be one that all executors see. Spark's own file sources skip names that begin
+    with a dot or underscore, and empty files, so the names are listed here.
+    """
+    paths = list_files(root)
+    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // per_task))
+    return read_files(names, text)

@@ -125,7 +125,9 @@ def test_contexts(spark):
     sections = context.relevant_sections(index.section_rollup(chunks).join(names, "document_id"), F.array(F.lit("扶養")), F.array(F.lit(2_000_000).cast("long")), True)
     assert [(r.document_id, r.score) for r in sections.orderBy("rank").collect()] == [(2, 17.0), (1, 9.0)]
     assert context.corpus_concepts(F.array(F.lit("zz")), documents, sections).first().concepts == ["zz", "扶養", "扶養手当"]
-    batch = context.batch_context(chunks.where("document_id = 1"), documents, sections, ["c1"])
+    batches = {r.batch_id: r.context for r in context.batch_contexts(chunks.withColumn("batch_id", F.col("document_id")), documents, sections, ["c1"]).collect()}
+    batch = batches[1]
+    assert len(batches) == 2 and batches[2].count("file=2.txt") == 2
     assert batch.count("file=1.txt") == 2 and "file=2.txt" not in batch and batch.startswith("CORPUS concepts: c1\n")
     assert "RELEVANT" in context.answer_context(documents, sections, ["c"], True) and "RELEVANT" not in context.answer_context(documents, sections, ["c"], False)
 
@@ -179,3 +181,25 @@ def test_snapshots_switch_at_once(spark, tmp_path):
     old = store.read("t")
     store.write({"t": old.union(spark.range(2))})
     assert store.read("t").count() == 5 and old.count() == 3 and store.read("u").count() == 1
+
+
+def test_vectors_fill_up_with_zero_and_negative_cosines(spark):
+    """Fewer positive chunks than the cap: the smallest ids without a cosine follow, then negative ones."""
+    rng = random.Random(5)
+    texts = ["alpha beta " + " ".join(f"w{rng.randrange(900)}" for _ in range(30)) for _ in range(40)] + [" ".join(f"v{rng.randrange(900)}" for _ in range(20)) for _ in range(200)] + ["", ""]
+    chunks = corpus(spark, [(1, texts[:150]), (2, texts[150:])])
+    ix = search.Index.over(chunks)
+    reqs = search.requests(spark, {"a": "alpha beta w1 w2", "b": "", "c": "nowhere"})
+    docs = chunks.select("document_id").distinct()
+    got = search.vector(reqs, ix, docs).orderBy("query_id", "rank").collect()
+    q = {(r.query_id, r.dim): r.value for r in index.hash_vectors(reqs, "query_id", F.col("query")).collect()}
+    dots = {}
+    for r in ix.vectors.collect():
+        for name in "abc":
+            if (name, r.dim) in q:
+                dots[name, r.chunk_id] = dots.get((name, r.chunk_id), 0.0) + r.value * q[name, r.dim]
+    ids = [r.chunk_id for r in chunks.collect()]
+    for name in "abc":
+        want = sorted((-round(dots.get((name, c), 0.0), 6), c) for c in ids)[: search.VECTOR_CAP]
+        assert [(r.chunk_id, r.rank) for r in got if r.query_id == name] == [(c, k) for k, (_, c) in enumerate(want, 1)]
+        assert all(abs(r.score + s) < 2e-6 for r, (s, _) in zip((r for r in got if r.query_id == name), want, strict=True))
