@@ -18,16 +18,17 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_label: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_label: int, text: str = "text", doc_id: str = "doc_id", longest: int = 200_000) -> DataFrame:
     """(text, label): up to per_label documents of each label from the fold, those of least hash.
 
-    The bound is this parameter alone, so what is joined by broadcast and trained on has a fixed size.
+    Of rows that share an id the least text counts; texts over `longest` characters aren't learnt from.
+    These parameters bound what is joined by broadcast and trained on, in rows and in bytes.
     """
     known = labels.where(F.col(label).isin(0, 1) & fold).groupBy(doc_id).agg(F.max(label).cast("int").alias("_label"))
     parts = [known.where(F.col("_label") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(per_label) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1]).withColumnRenamed(doc_id, "_id")
-    mine = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    return mine.join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).select("text", F.col("_label").alias("label"))
+    mine = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(F.col(text).isNull() | (F.length(text) <= longest))
+    return mine.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.min("text").alias("text")).select("text", F.col("_label").alias("label"))
 
 
 def labelled_scores(docs: DataFrame, labels: DataFrame, label: str, fold: Column, scores: Callable[[list], object], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
