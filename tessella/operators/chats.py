@@ -47,6 +47,16 @@ def archived(chats: DataFrame, conv_id: int, on: bool) -> DataFrame:
     return chats.withColumn("archived", F.when(F.col("conv_id") == conv_id, F.lit(on)).otherwise(F.col("archived")))
 
 
+def restored(chats: DataFrame, conv_id: int) -> DataFrame:
+    """An archived chat back in the list."""
+    return archived(chats, conv_id, False)
+
+
+def deleted(chats: DataFrame, conv_id: int) -> DataFrame:
+    """The chats without an archived one; a chat that isn't archived stays."""
+    return chats.where((F.col("conv_id") != conv_id) | ~F.col("archived"))
+
+
 def deltas(text: Column | str) -> Column:
     """An answer in pieces that end after 80 characters or at a line end."""
     n = DELTA_CHARS

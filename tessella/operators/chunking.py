@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,13 +136,19 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     """Chunks of (document_id, path, text): chunk_id, document_id, ordinal, char_start, char_end, heading_path, content, content_hash, prev and next."""
     source = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"), is_markdown(F.col("path")).alias("md"))
 
+    names = ["document_id", "ordinal", "char_start", "char_end", "heading_path", "content"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2
+
+    def cut(b: pa.RecordBatch) -> Iterator[tuple]:
+        for d, text, md in zip(*(b.column(n).to_pylist() for n in ("document_id", "text", "md")), strict=True):
+            for k, c in enumerate(chunk_text(text, md)):
+                yield d, k, c.char_start, c.char_end, c.heading_path, c.content
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, k, c.char_start, c.char_end, c.heading_path, c.content) for d, text, md in zip(*(b.column(n).to_pylist() for n in ("document_id", "text", "md")), strict=True) for k, c in enumerate(chunk_text(text, md))]
-            if rows:
-                names = ["document_id", "ordinal", "char_start", "char_end", "heading_path", "content"]
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for i in range(0, b.num_rows, 100):
+                for rows in batched(cut(b.slice(i, 100)), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     out = source.mapInArrow(run, "document_id long, ordinal long, char_start long, char_end long, heading_path string, content string")
     return linked(out.withColumn("chunk_id", F.col("document_id") * CHUNK_STRIDE + F.col("ordinal")).withColumn("content_hash", F.sha2("content", 256)))

@@ -4,10 +4,12 @@ import sys
 from importlib.util import find_spec
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessella.operators import chunking, model
+from tessella.operators import chats, chunking, model
 from tessella.plans.pipeline import Cancelled, Corpus, Settings
+from tessella.sources.folder import list_files
 
 
 @pytest.fixture(scope="module")
@@ -161,6 +163,27 @@ def test_backfill_rebuilds_lost_rollups(spark, corpus):
     assert corpus.store.read("contexts").count() == 2 and sorted(map(str, corpus.store.read("sections").collect())) == sections
 
 
+def test_chats_are_kept_archived_restored_and_deleted(spark):
+    rows = [(k % 90, k, f"t{k}") for k in range(180)]
+    kept = chats.kept_sessions(spark.createDataFrame(rows, "conv_id long, place long, title string"), "place").withColumn("archived", F.lit(False))
+    assert sorted(r.title for r in kept.collect()) == sorted(f"t{k}" for k in range(80))
+    gone = chats.archived(kept, 3, True)
+    assert chats.deleted(kept, 3).count() == 80 and chats.deleted(gone, 3).count() == 79
+    assert [r.archived for r in chats.restored(gone, 3).where("conv_id = 3").collect()] == [False]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    for k in range(9):
+        (tmp_path / f"d{k}" / "deep" / "er").mkdir(parents=True)
+        (tmp_path / f"d{k}" / "deep" / "er" / ".hid.txt").write_text("x")
+        (tmp_path / f"d{k}" / "a.md").write_text("")
+        (tmp_path / f"d{k}" / "deep" / "b.png").write_text("")
+    (tmp_path / "link").symlink_to(tmp_path / "d0")
+    want = sorted([str(tmp_path / f"d{k}" / "deep" / "er" / ".hid.txt") for k in range(9)] + [str(tmp_path / f"d{k}" / "a.md") for k in range(9)])
+    for folders in (1, 5, 64):
+        assert sorted(r.path for r in list_files(spark, str(tmp_path), folders).collect()) == want
+
+
 def test_only_absent_corpus_operators_are_passed_over(monkeypatch, tmp_path):
     if find_spec("tessella.llm") is None:
         assert entry._llm is None
