@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,13 @@ def deal_parts(df: DataFrame, keys: list[str], part_of: Column, limit: int = 102
     return dealt.withColumn("low", F.least("part", "_other")).withColumn("high", F.greatest("part", "_other")).drop("_parts", "_other")
 
 
-def deal_tiles(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024) -> DataFrame:
-    """deal_parts, and the rows sorted by tile (long): a hash, for users to whom two tiles in one only mean more to compare."""
+def deal_tiles(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """deal_parts, and the rows sorted by tile (long): a hash, for users to whom two tiles in one only mean more to compare.
+
+    What is heavy is better added by `then`, once rows are dealt: df is read once more for its counts.
+    """
     out = deal_parts(df, keys, part_of, limit).withColumn("tile", F.xxhash64(*keys, "low", "high")).drop("low", "high")
-    return out.repartition("tile").sortWithinPartitions("tile")
+    return (then(out) if then else out).repartition("tile").sortWithinPartitions("tile")
 
 
 def whole_tiles(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
