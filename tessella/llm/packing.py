@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import materialise, slices, table
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 
 
@@ -24,28 +28,31 @@ class WordIds:
 
     Words that come again are looked up in two generations of bounded size. Texts of Latin-1
     characters without special strings are lowered and cut as the tokenizer itself would, which
-    leaves fewer different words; others are only cut at white space.
+    leaves fewer different words and lets new ones skip its own normalising and cutting; others are
+    only cut at white space.
     """
 
     def __init__(self, path: str, limit: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit, self.young, self.old = limit, {}, {}
         self.words = re.compile("[^ \n\t\r]+").findall  # a subset of the white space it drops: parting here changes nothing
         letters, digits, spaces = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
         self.parts = re.compile(f"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^{spaces}{letters}{digits}]+").findall
         self.beyond = re.compile("[^\0-\xff]").search
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> tuple[list[str], Tokenizer]:
+        """Its words, and the tokenizer for those not met before."""
         if "<|" in text or not (text.isascii() or not self.beyond(text)):
-            return self.words(text)
-        return self.parts(text.lower())
+            return self.words(text), self.tokenizer
+        return self.parts(text.lower()), self.bare
 
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        words = self.cut(text or "")
+        words, tokenizer = self.cut(text or "")
         young = self.young
         missing = set(words).difference(young)
         if missing:
@@ -58,7 +65,7 @@ class WordIds:
                     young[w] = found
                 else:
                     unknown.append(w)
-            for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            for w, e in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
                 young[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
         return b"".join(map(young.__getitem__, words))
 

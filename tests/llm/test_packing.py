@@ -74,6 +74,18 @@ def test_ids_as_the_library(spark):
         assert np.frombuffer(ids.packed(s), np.uint32).tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_every_latin_1_character_is_cut_as_the_tokenizer_cuts():
+    t, ids = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    rng = random.Random(8)
+    every = [chr(c) for c in range(256)]
+    texts = ["a".join(every), " ".join(every), "'".join(every), "".join(every) * 2]
+    texts += ["".join(rng.choices(every, k=rng.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choices("aZ\xc9\xdf'sSvVeErRlLdDmMtT1\xb2\xbd \xa0\x85\xad!", k=rng.randint(1, 30))) for _ in range(3000)]
+    texts += [x + " \u00e9\u0301\u4e2d" for x in texts[::50]]  # words known from one kind of text in the other
+    for x in texts:
+        assert np.frombuffer(ids.packed(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_documents(spark):
     t = Tokenizer.from_file(PATH)
     rng = random.Random(4)
