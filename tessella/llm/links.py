@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import discard, materialise
 
 
-BROADCAST_ROWS = 200_000  # of three longs and less: a few MB
+BROADCAST_ROWS = 200_000  # of four longs and less: a few MB
 
 
 def deal_parts(df: DataFrame, keys: list[str], part_of: Column, limit: int = 1024) -> DataFrame:
