@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,38 +47,73 @@ def corrective_merge(hits: DataFrame, limit: int = CORRECTIVE_HITS) -> DataFrame
 
 
 def _diversified(hits: list[list], limit: int) -> list[list]:
-    hits.sort(key=lambda h: (-h[2], h[0]))
+    """Of (minus score, chunk, document): the best after repeats of a document are lowered, in order."""
+    hits.sort()
     seen: dict[int, int] = {}
+    lowered = False
     for h in hits:
-        if seen.get(h[1], 0) >= PER_DOCUMENT:
-            h[2] = round(h[2] * REPEAT_FACTOR, DIGITS)
-        seen[h[1]] = seen.get(h[1], 0) + 1
-    hits.sort(key=lambda h: (-h[2], h[0]))
+        n = seen.get(h[2], 0)
+        if n >= PER_DOCUMENT:
+            h[0] = round(h[0] * REPEAT_FACTOR, DIGITS)
+            lowered = True
+        seen[h[2]] = n + 1
+    if lowered:
+        hits.sort()
     return hits[:limit]
 
 
+class _Fold:
+    """The merged hits of one run, given its rows in the order of seq, chunk, document and score."""
+
+    def __init__(self, run: str | None, limit: int, step: float):
+        self.run, self.limit, self.step = run, limit, step
+        self.seq: int | None = None
+        self.merged: dict[int, list] = {}  # by chunk: [minus score, chunk, document]
+        self.started = False
+
+    def add(self, seq: int, chunk: int, doc: int, score: float) -> None:
+        if self.started and seq != self.seq:
+            self._close()
+        self.seq, self.started = seq, True
+        if (h := self.merged.get(chunk)) is not None:
+            h[0] = -round(max(-h[0], score) + self.step, DIGITS)
+        else:
+            self.merged[chunk] = [-score, chunk, doc]
+
+    def _close(self) -> None:
+        kept = _diversified(list(self.merged.values()), self.limit)
+        self.merged = {h[1]: h for h in kept}
+
+    def rows(self) -> pa.RecordBatch:
+        self._close()
+        out = list(self.merged.values())
+        return pa.RecordBatch.from_pydict({"run_id": pa.array([self.run] * len(out), pa.string()), "chunk_id": pa.array([h[1] for h in out], pa.int64()), "document_id": pa.array([h[2] for h in out], pa.int64()), "score": pa.array([0.0 - h[0] for h in out], pa.float64()), "rank": pa.array(range(1, len(out) + 1), pa.int32())})
+
+
 def guided_merge(hits: DataFrame, limit: int = GUIDED_HITS, step: float = GUIDED_STEP) -> DataFrame:
     """Merges (run_id, seq, chunk_id, document_id, score) query by query, diversified after each.
 
-    Penalties compound from merge to merge, so the fold can't be reordered; a run has at most
-    40 queries of 6 hits, which one group holds.
+    Penalties compound from merge to merge, so the fold can't be reordered; but it holds no more than
+    limit hits and those of one query. Spark sorts the rows of each run, which pass through it once.
     """
 
-    def fold(t: pa.Table) -> pa.Table:
-        merged: dict[int, list] = {}
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("seq", "chunk_id", "document_id", "score")), strict=True))
-        for seq in dict.fromkeys(r[0] for r in rows):
-            for _, chunk, doc, score in (r for r in rows if r[0] == seq):
-                if chunk in merged:
-                    merged[chunk][2] = round(max(merged[chunk][2], score) + step, DIGITS)
-                else:
-                    merged[chunk] = [chunk, doc, score]
-            merged = {h[0]: h for h in _diversified(list(merged.values()), limit)}
-        out = list(merged.values())
-        run = t.column("run_id")[0].as_py()
-        return pa.table({"run_id": pa.array([run] * len(out), pa.string()), "chunk_id": pa.array([h[0] for h in out], pa.int64()), "document_id": pa.array([h[1] for h in out], pa.int64()), "score": pa.array([h[2] for h in out], pa.float64()), "rank": pa.array(range(1, len(out) + 1), pa.int32())})
-
-    return hits.groupBy("run_id").applyInArrow(fold, "run_id string, chunk_id long, document_id long, score double, rank int")
+    columns = ["run_id", "seq", "chunk_id", "document_id", "score"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            values = [c.to_pylist() if c.null_count or c.type == pa.string() else c.to_numpy().tolist() for c in map(batch.column, columns)]
+            for run, seq, chunk, doc, score in zip(*values, strict=True):
+                if now is None or run != now.run:
+                    if now is not None:
+                        yield now.rows()
+                    now = _Fold(run, limit, step)
+                now.add(seq, chunk, doc, score)
+        if now is not None:
+            yield now.rows()
+
+    ordered = hits.select(*columns).repartition("run_id").sortWithinPartitions(*columns)
+    return ordered.mapInArrow(fold, "run_id string, chunk_id long, document_id long, score double, rank int")
 
 
 def focused_chunks(chunks: DataFrame, hits: DataFrame, cap: int = FOCUS_CHUNKS) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,22 @@ def test_guided_merges_compound(spark):
     assert [(r.chunk_id, r.document_id, r.score) for r in got] == model_guided(rows, 10, 0.01)
 
 
+def test_guided_merges_of_many_queries_take_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(run, s, c, c % 7, rng.randint(1, 99) / 100) for run in ("a", "b") for s in range(30_000) for c in rng.sample(range(90), 3)]
+    rows += [(None, 3, 1, 1, 0.5), (None, 1, 1, 1, 0.25)]
+    rng.shuffle(rows)
+    hits = spark.createDataFrame(rows, "run_id string, seq long, chunk_id long, document_id long, score double")
+    start = time.monotonic()
+    got = expand.guided_merge(hits).collect()
+    assert time.monotonic() - start < 25  # a pass over a run's rows for each of its queries takes minutes
+    few = [r for r in rows if r[1] < 300]
+    got_few = expand.guided_merge(hits.where("seq < 300")).orderBy("rank").collect()
+    for run in ("a", "b", None):
+        assert [(r.chunk_id, r.document_id, r.score) for r in got_few if r.run_id == run] == model_guided([r for r in few if r[0] == run], 64, 0.01)
+        assert sorted(r.rank for r in got if r.run_id == run) == list(range(1, 2 if run is None else 65))
+
+
 def test_corrective_merges_in_order(spark):
     rows = [("r", 1, 1, -1, 0.5), ("r", 1, 1, 3, 0.2), ("r", 1, 1, 5, 0.9), ("r", 2, 2, 4, 0.3)]
     got = {r.chunk_id: r.score for r in expand.corrective_merge(spark.createDataFrame(rows, "run_id string, chunk_id long, document_id long, seq long, score double")).collect()}
