@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import minhash, packing, quality, substrings, toxicity
+from tessella.llm import nearcopies, packing, quality, substrings, toxicity
 from tessella.llm.common import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,7 +27,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 on 5-word shingles the one of least id stays; documents without an id stay."""
-    first = minhash.first_of_groups(docs)
+    first = nearcopies.first_of_groups(docs)
     kept = docs.withColumn("text_hash", F.xxhash64("text")).join(first, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     return kept.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
