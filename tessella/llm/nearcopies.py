@@ -48,7 +48,7 @@ def sampled(n: int) -> np.ndarray:
     """The bits of each key, a row a key, for n fingerprints: 2048 to 4096 share a key by chance.
 
     14 / 0.84^k keys of k bits. A pair at the threshold is missed with a probability of 2e-6 or less
-    up to 500,000 fingerprints (k = 7) and of 8e-5 or less at 15 million. Up to 8192 all meet.
+    up to 500,000 fingerprints (k = 7) and of 8e-5 or less at 15 million, for small sets three times that. Up to 8192 all meet.
     """
     k = int(np.log2(n / 2048)) if n > 8192 else 0
     rng = np.random.default_rng(17)
